@@ -1,0 +1,13 @@
+"""Shared pieces of the operators."""
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def folded(c: str | Column) -> Column:
+    """Without outer blanks and in lower case."""
+    return F.lower(F.regexp_replace(c, r"^\s+|\s+$", ""))

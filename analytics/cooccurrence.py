@@ -1,0 +1,45 @@
+"""Problem 3: pairs of values of different fields that share more calls than chance gives."""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import folded, table
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = table(spark, sf_dir, "validated_cells")
+    enums = table(spark, sf_dir, "schema_fields").where("type = 'enum'").select("field", F.explode("enum_values").alias("v")).select("field", folded("v").alias("v")).distinct()
+    settled = cells.where(F.col("disposition").isin("accepted", "repaired")).select("call_id", "field", folded("value").alias("v"))
+    items = settled.join(F.broadcast(enums), ["field", "v"]).select("call_id", "field", F.concat_ws("=", "field", "v").alias("item"))
+    per_call = items.groupBy("call_id").agg(F.sort_array(F.collect_set(F.struct("item", "field"))).alias("items"))
+    # each call holds a handful of items: its pairs are made in place, without a self-join
+    pairs = F.expr(
+        "flatten(transform(items, (a, i) -> transform(filter(slice(items, i + 2, size(items)), b -> b.field <> a.field), b -> struct(a.item as item_a, b.item as item_b))))"
+    )
+    shared = per_call.select(F.explode(pairs).alias("p")).groupBy("p.item_a", "p.item_b").agg(F.count("*").alias("k"))
+    calls = per_call.select(F.explode("items.item").alias("item")).groupBy("item").agg(F.count("*").alias("n"))
+    total = cells.agg(F.countDistinct("call_id").alias("total"))
+    return (
+        shared.join(F.broadcast(calls.toDF("item_a", "na")), "item_a")
+        .join(F.broadcast(calls.toDF("item_b", "nb")), "item_b")
+        .crossJoin(F.broadcast(total))
+        .where("k >= 5 and k * 10000 >= total * 15 and k * total * 10 >= na * nb * 22")
+        .select("item_a", "item_b")
+    )
+
+
+P3_SQL = r"""
+with enums as (select field, lower(trim(unnest(enum_values))) v from schema_fields where type = 'enum'
+), items as (
+  select distinct call_id, c.field, c.field || '=' || e.v item
+  from validated_cells c join enums e on e.field = c.field and e.v = lower(regexp_replace(c.value, '^\s+|\s+$', '', 'g'))
+  where disposition in ('accepted', 'repaired')
+), n as (select item, count(*) n from items group by 1
+), t as (select count(distinct call_id) total from validated_cells
+), s as (
+  select a.item item_a, b.item item_b, count(*) k
+  from items a join items b on a.call_id = b.call_id and a.field <> b.field and a.item < b.item group by 1, 2
+)
+select item_a, item_b from s join n x on x.item = item_a join n y on y.item = item_b, t
+where k >= 5 and k >= 0.0015 * total and k * total >= 2.2 * x.n * y.n
+"""

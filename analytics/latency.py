@@ -1,0 +1,42 @@
+"""Problem 5: percentiles of span durations from a histogram that can be joined, held against agent_rollup."""
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .common import folded, table
+
+
+def histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(run_id, agent, duration_ms, n): exact, and added up by key across runs or days."""
+    spans = table(spark, sf_dir, "spans").select("id", "run_id", folded("agent").alias("agent"), "duration_ms")
+    once = spans.where("duration_ms >= 0").groupBy("id").agg(F.min(F.struct("run_id", "agent", "duration_ms")).alias("s")).select("s.*")
+    return once.groupBy("run_id", "agent", "duration_ms").agg(F.count("*").alias("n"))
+
+
+def percentiles(hist: DataFrame, *keys: str) -> DataFrame:
+    """p50 and p95 of each key: of the sorted durations, the one at place min(n - 1, floor(q * n))."""
+    hist = hist.groupBy(*keys, "duration_ms").agg(F.sum("n").alias("n"))
+    upto = Window.partitionBy(*keys).orderBy("duration_ms").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = hist.withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(Window.partitionBy(*keys)))
+    at = lambda percent: F.min(F.when(F.col("upto") > F.expr(f"least(total - 1, total * {percent} div 100)"), F.col("duration_ms")))
+    return placed.groupBy(*keys).agg(F.max("total").alias("n"), at(50).alias("p50"), at(95).alias("p95"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rollup = table(spark, sf_dir, "agent_rollup").select("run_id", "agent", "p50_ms", "p95_ms")
+    true = percentiles(histogram(spark, sf_dir), "run_id", "agent")
+    return rollup.join(true, ["run_id", "agent"]).where("abs(p50_ms - p50) * 100 > p50 * 15 or abs(p95_ms - p95) * 100 > p95 * 15").select("run_id", "agent").distinct()
+
+
+P5_SQL = r"""
+with s as (
+  select id, min(run_id) run_id, min(lower(regexp_replace(agent, '^\s+|\s+$', '', 'g'))) agent, min(duration_ms) ms
+  from spans where duration_ms >= 0 group by id
+), o as (select run_id, agent, ms, row_number() over (partition by run_id, agent order by ms) - 1 place, count(*) over (partition by run_id, agent) n from s
+), t as (
+  select run_id, agent, max(ms) filter (place = least(n - 1, n * 50 // 100)) p50, max(ms) filter (place = least(n - 1, n * 95 // 100)) p95
+  from o group by 1, 2
+)
+select distinct r.run_id, r.agent from agent_rollup r join t on t.run_id = r.run_id and t.agent = r.agent
+where abs(p50_ms - p50) > 0.15 * p50 or abs(p95_ms - p95) > 0.15 * p95
+"""

@@ -1,0 +1,50 @@
+"""Problem 1: terms of gold.reason, gold.objection and the issue notes, with a mark if too rare or too common."""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import folded, table
+
+RARE_CALLS, COMMON_SHARE_PERCENT = 2, 25
+
+
+def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(field_name, term, occurrences, calls, field_calls, mark), mark null for a term of use."""
+    gold = table(spark, sf_dir, "gold").distinct()
+    notes = table(spark, sf_dir, "validated_cells").where(F.trim("field") == "issue_note").select("call_id", "value").distinct()
+    coded = gold.select("call_id", F.explode(F.create_map(F.lit("reason"), folded("reason"), F.lit("objection"), folded("objection"))).alias("field_name", "term"))
+    words = notes.select("call_id", F.lit("value").alias("field_name"), F.explode(F.regexp_extract_all(F.lower("value"), F.lit("([a-z0-9]+)"))).alias("term"))
+    # a value without any word is still a value
+    valued = (
+        coded.where("term <> ''")
+        .unionByName(words)
+        .unionByName(notes.where(folded("value") != "").select("call_id", F.lit("value").alias("field_name"), F.lit("").alias("term")))
+    )
+    per_call = valued.groupBy("field_name", "term", "call_id").agg(F.count("*").alias("n"))
+    field_calls = per_call.groupBy("field_name").agg(F.countDistinct("call_id").alias("field_calls"))
+    terms = per_call.where("term <> ''").groupBy("field_name", "term").agg(F.sum("n").alias("occurrences"), F.count("call_id").alias("calls"))
+    rare, common = F.col("calls") <= RARE_CALLS, F.col("calls") * 100 > F.col("field_calls") * COMMON_SHARE_PERCENT
+    return terms.join(F.broadcast(field_calls), "field_name").withColumn("mark", F.when(rare, "rare").when(common, "common"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon(spark, sf_dir).where("mark is not null").select("field_name", "term", "mark")
+
+
+P1_SQL = r"""
+with coded as (
+  select call_id, 'reason' field_name, lower(regexp_replace(reason, '^\s+|\s+$', '', 'g')) term from gold
+  union all select call_id, 'objection', lower(regexp_replace(objection, '^\s+|\s+$', '', 'g')) from gold
+), notes as (
+  select call_id, lower(value) v from validated_cells where field = 'issue_note' and trim(value) <> ''
+), terms as (
+  select distinct * from coded where term <> ''
+  union select call_id, 'value', unnest(regexp_extract_all(v, '[a-z0-9]+')) from notes
+), totals as (
+  select field_name, count(distinct call_id) n
+  from (select call_id, field_name from coded where term <> '' union all select call_id, 'value' from notes) group by 1
+), counted as (
+  select t.field_name, term, count(distinct call_id) k, any_value(n) n from terms t join totals o on o.field_name = t.field_name group by 1, 2
+)
+select field_name, term, case when k <= 2 then 'rare' else 'common' end mark from counted where k <= 2 or k > 0.25 * n
+"""

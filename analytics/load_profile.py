@@ -1,0 +1,89 @@
+"""Problem 2: a profile of every load and field of validated_cells, and the loads that depart from the others."""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import table
+
+LABELS = ("accepted", "repaired", "human_review")
+
+
+def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each load and field, counting all rows as they are."""
+    fields = table(spark, sf_dir, "schema_fields").select("field", "type", "enum_values")
+    cells = table(spark, sf_dir, "validated_cells").select("load_no", "field", "value", "confidence", "disposition").join(F.broadcast(fields), "field", "left")
+    fits = (
+        F.when(F.col("type") == "number", F.col("value").rlike(r"\A-?[0-9]+(\.[0-9]+)?\z"))
+        .when(F.col("type") == "date", F.col("value").rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z") & F.expr("try_cast(value as date)").isNotNull())
+        .when(F.col("type") == "boolean", F.col("value").isin("true", "false"))
+        .when(F.col("type") == "enum", F.coalesce(F.array_contains("enum_values", F.col("value")), F.lit(False)))
+        .otherwise(F.lit(True))
+    )
+    inside = F.col("confidence").between(0, 1)
+    return cells.groupBy("load_no", "field").agg(
+        F.count("*").alias("n"),
+        F.count("value").alias("n_value"),
+        F.count_if(F.col("value").isNotNull() & ~fits).alias("n_misfit"),
+        F.approx_count_distinct("value").alias("distinct_values"),
+        F.min("value").alias("min_value"),
+        F.max("value").alias("max_value"),
+        F.count("confidence").alias("n_confidence"),
+        F.count_if(F.col("confidence").isNotNull() & ~inside).alias("n_outside"),
+        F.min("confidence").alias("min_confidence"),
+        F.max("confidence").alias("max_confidence"),
+        F.avg(F.when(inside, F.col("confidence"))).alias("mean_confidence"),
+        F.count("disposition").alias("n_disposition"),
+        F.count_if(F.col("disposition").isNotNull() & ~F.col("disposition").isin(*LABELS)).alias("n_label"),
+    )
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # loads times fields: small from here on, whatever the rows
+    p = profiles(spark, sf_dir).select("load_no", "field", "n", "n_value", "n_misfit", "n_confidence", "n_outside", "mean_confidence", "n_disposition", "n_label")
+    p = p.withColumn("null_share", 1 - F.col("n_value") / F.col("n"))
+    mid = p.groupBy("field").agg(F.median("null_share").alias("mid_null"), F.median("mean_confidence").alias("mid_confidence"))
+    labels = table(spark, sf_dir, "validated_cells").where("disposition is not null").groupBy("load_no", "field", "disposition").agg(F.count("*").alias("k"))
+    # a load without a label has the share 0 of it
+    grid = p.select("load_no", "field", "n").join(labels.select("field", "disposition").distinct(), "field").join(labels, ["load_no", "field", "disposition"], "left")
+    grid = grid.withColumn("share", F.coalesce("k", F.lit(0)) / F.col("n"))
+    shares = grid.join(grid.groupBy("field", "disposition").agg(F.median("share").alias("mid_share")), ["field", "disposition"])
+    shifted = shares.where("abs(share - mid_share) > 0.23").select("load_no", "field", F.lit("disposition_shift").alias("issue")).distinct()
+    issues = {
+        "null_rate": "abs(null_share - mid_null) > 0.23",
+        "value_pattern": "n_misfit * 100 > n_value * 9",
+        "confidence_range": "n_outside * 100 > n_confidence * 3",
+        "confidence_shift": "abs(mean_confidence - mid_confidence) > 0.15",
+        "disposition_label": "n_label * 100 > n_disposition * 3",
+    }
+    found = p.join(mid, "field").select("load_no", "field", F.explode(F.array(*(F.when(F.expr(c), F.lit(k)) for k, c in issues.items()))).alias("issue"))
+    return found.where("issue is not null").unionByName(shifted)
+
+
+P2_SQL = r"""
+with c as (
+  select load_no, v.field, value, confidence, disposition,
+    case s.type when 'number' then regexp_full_match(value, '-?[0-9]+(\.[0-9]+)?')
+      when 'date' then regexp_full_match(value, '[0-9]{4}-[0-9]{2}-[0-9]{2}') and try_cast(value as date) is not null
+      when 'boolean' then value in ('true', 'false') when 'enum' then list_contains(s.enum_values, value) else true end fits
+  from validated_cells v left join schema_fields s on s.field = v.field
+), p as (
+  select load_no, field, count(*) n, 1 - count(value) / count(*) nulls,
+    count(*) filter (value is not null and not fits) / nullif(count(value), 0) misfit,
+    count(*) filter (confidence < 0 or confidence > 1) / nullif(count(confidence), 0) outside,
+    avg(confidence) filter (confidence between 0 and 1) mean,
+    count(*) filter (disposition not in ('accepted', 'repaired', 'human_review')) / nullif(count(disposition), 0) label
+  from c group by 1, 2
+), m as (select field, median(nulls) nulls, median(mean) mean from p group by 1
+), d as (select load_no, field, disposition, count(*) k from c where disposition is not null group by 1, 2, 3
+), g as (
+  select p.load_no, p.field, l.disposition, coalesce(k, 0) / n share
+  from p join (select distinct field, disposition from d) l on l.field = p.field
+  left join d on d.load_no = p.load_no and d.field = p.field and d.disposition = l.disposition
+), gm as (select field, disposition, median(share) mid from g group by 1, 2)
+select p.load_no, p.field, 'null_rate' issue from p join m on m.field = p.field where abs(p.nulls - m.nulls) > 0.23
+union all select load_no, field, 'value_pattern' from p where misfit > 0.09
+union all select load_no, field, 'confidence_range' from p where outside > 0.03
+union all select p.load_no, p.field, 'confidence_shift' from p join m on m.field = p.field where abs(p.mean - m.mean) > 0.15
+union all select load_no, field, 'disposition_label' from p where label > 0.03
+union all select distinct g.load_no, g.field, 'disposition_shift' from g join gm on gm.field = g.field and gm.disposition = g.disposition where abs(share - mid) > 0.23
+"""

@@ -1,0 +1,70 @@
+"""Problem 9: documents of which at least a part was read in the wrong character encoding."""
+
+import functools
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import table
+
+#: Encodings in which UTF-8 is read by mistake.
+READ_AS = ("latin-1", "cp1252", "cp1250", "iso8859-2", "cp1254", "iso8859-15", "mac_roman", "cp437", "cp850", "cp1251", "cp866", "koi8-r")
+#: What the seven languages, their punctuation and symbols use beyond ASCII.
+LETTERS = "äöüßÄÖÜẞàâæçéèêëîïôœùûüÿÀÂÆÇÉÈÊËÎÏÔŒÙÛÜŸáéíñóúüÁÉÍÑÓÚÜãõÃÕąćęłńóśźżĄĆĘŁŃÓŚŹŻ"
+CYRILLIC = "а-яА-ЯёЁ"
+PLAUSIBLE = [*range(0xA0, 0x180), *range(0x401, 0x460), *range(0x2010, 0x2045), 0x20AC, 0x2116, 0x2122, 0x2190, 0x2192, 0x2212, 0x2248, 0x2260, 0x2264, 0x2265, 0xFB01, 0xFB02, 0xFEFF, 0xFFFD]
+
+
+def as_read(b: int, codec: str) -> str:
+    """The character of a byte; where the encoding has none, readers keep the control character."""
+    try:
+        return bytes([b]).decode(codec)
+    except UnicodeDecodeError:
+        return chr(b)
+
+
+def utf8_patterns() -> list[str]:
+    """For each encoding, the sequences that plausible characters turn into, grouped by their first characters."""
+    out = []
+    esc = lambda c: f"\\x{{{ord(c):x}}}"
+    for codec in READ_AS:
+        heads: dict[str, set[str]] = {}
+        for cp in PLAUSIBLE:
+            s = [as_read(b, codec) for b in chr(cp).encode()]
+            heads.setdefault("".join(map(esc, s[:-1])), set()).add(esc(s[-1]))
+        one = "(?:" + "|".join(f"{h}[{''.join(sorted(t))}]" for h, t in heads.items()) + ")"
+        # their sequences also come in sound Russian, or after a dash
+        first = "".join(sorted({h[: h.index("}") + 1] for h in heads}))
+        out.append(f"(?=[{first}])" + one + {"cp1251": "{2}", "mac_roman": "", "koi8-r": "{2}"}.get(codec, ""))
+    return out
+
+
+@functools.cache
+def pattern() -> str:
+    symbols = "≥≤∞≈∫π∂∑∏√Ω≠⁄¥ø¬∆◊ˆ˜˘˙˚¸˝˛ˇﬁﬂªº·¿¡Θ"
+    inner = "‚„•‹›†‡ƒ‰¤¦©¶¹²³¿¡Θ"
+    return r"(?=[^\x00-\x7f])(?:" + "|".join(
+        [
+            r"[\x{fffd}\x{80}-\x{9f}]",
+            *utf8_patterns(),
+            # Cyrillic read as a Latin encoding
+            r"[À-ÖØ-öø-ÿ]{4,}",
+            # one Cyrillic encoding read as another: the cases are swapped, or letters that Russian hasn't stand among its own
+            rf"(?<![{CYRILLIC}])[а-яё][А-ЯЁ]{{2,}}",
+            r"[Ѐ-Џѐ-ҁҊ-ӿ&&[^Ёё]]",
+            rf"[{CYRILLIC}][\x{{2500}}-\x{{259f}}]|[\x{{2500}}-\x{{259f}}][{CYRILLIC}]",
+            # Latin letters of one encoding read as another
+            r"(?<=[a-zß-öø-ÿ])[À-ÖØ-ÞŽŠŸŁŚŻŹĆĘĄŃ](?![A-ZÀ-ÖØ-Þ])",
+            rf"(?<=[a-zA-Z])[{symbols}](?=[a-z])",
+            rf"(?<=[a-z])[{inner}](?=[a-z])",
+            r"(?<=[a-z])[Ͱ-Ͽ]|[Ͱ-Ͽ](?=[a-z])|(?<=[a-z])[\x{2500}-\x{259f}]|[\x{2500}-\x{259f}](?=[a-z])",
+            rf"(?<=[a-z])[ﬂˆ˙˘˜˚≥≤∂∑∏∫√≈](?![\s\d])|[ﬂˆ˙˘˜˚][a-z]",
+            # punctuation of cp1252 read as Mac Roman
+            r"(?<=[a-zA-Z])í(?=(?:t|s|d|m|ll|re|ve|clock)\b)|(?<=\s)[óÄ](?=\s)|(?<=[a-z.,!?])î(?=\s|$)|(?<=[a-z])[·÷±ⁿ]|[∞∫≈](?=[A-Za-z])",
+            rf"[\x{{c0}}-\x{{24f}}&&[\p{{L}}]&&[^{LETTERS}]]",
+        ]
+    ) + ")"
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").where(F.col("text").rlike(r"[^\x00-\x7f]") & F.col("text").rlike(pattern())).select("doc_id")

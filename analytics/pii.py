@@ -1,0 +1,149 @@
+"""Problem 4: personal data in the turn texts, each item with its place, and the texts with typed placeholders."""
+
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import table
+from .turns import HESITATION, INNER_STAMP, LEADING_STAMP, SOUND
+
+GIVEN = (
+    "amarel bettan brisa cathmor corwen delphe dorvan eliska fenno grethe havel ilvar isaura joriel kestrin linden maelis maro nevia odran orsina petrisa quillan rosvita sable sanne tavish torvald "
+    "ulrisa veskan wilmet wren xandor yevra zorin"
+).split()
+FAMILY = (
+    "ainsmere bellacasa brindell castellin devontaine drumgold dvorlak fennimark greymantle haldemar ihejima kallimore lorrane lund-avery marrowin nakorin o['’]?marrick obuyeni ostrovane petherick quarrie ruskavi "
+    "solvander strandquist tamberlyn thornquay tiskova velkamp wexhallow yarvell zandvoor"
+).split()
+#: Given names that are words as well; as such they come after "the" or before a thing.
+WORDS_TOO = "linden|sable|wren"
+_I = re.I
+_BLANKS, _NUMERAL = re.compile(r"\s\s"), re.compile(r"\d")
+_SET = re.compile(r",\s*(?:you know|i mean|sort of|kind of|you see)\s*,", _I)
+_S = r"[\s.\-]{0,2}"
+_B, _E = r"(?<![\w@+])(?<!\d[-.])(?<![a-z]-)", r"(?![\w@]|[-.]\d)"
+_DIGIT = r"(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|double|triple)"
+EMAIL = re.compile(
+    r"[a-z0-9](?:[a-z0-9._+'’\-]*[a-z0-9])?\s?(?:@|\[at\]|\(at\))\s?[a-z0-9\-]+(?:\s?(?:\.|\[dot\]|\(dot\))[a-z0-9\-]+)+"
+    r"|[a-z0-9]+(?:\s(?:dot|underscore|dash|hyphen|plus)\s[a-z0-9]+)*\sat\s[a-z0-9]+(?:\s(?:dash|hyphen|dot)\s[a-z0-9]+)*\sdot\s[a-z]+",
+    _I,
+)
+ID_NUMBER = re.compile(rf"{_B}(?:\d{{3}}([ \-.]?)\d{{2}}\1\d{{4}}|[a-z]{{2}}\s?\d{{2}}\s?\d{{2}}\s?\d{{2}}\s?[a-d]|[a-z]\d{{8}}|[xyz]\d{{7}}[a-z]){_E}", _I)
+PHONE = re.compile(
+    rf"(?:(?<![\w+])\+44{_S}\d{{4}}{_S}\d{{3}}{_S}\d{{3}}|{_B}0\d{{4}}{_S}\d{{3}}{_S}\d{{3}}"
+    rf"|(?:(?<![\w+])\+1{_S}|{_B}1[\s.\-])?(?:\(\d{{3}}\)\s?|{_B}\d{{3}}{_S})\d{{3}}{_S}\d{{4}}|{_B}555[\s.\-]\d{{4}}){_E}(?:\s*,?\s*(?:extension|ext\.?|x)\s*\d+)?",
+    _I,
+)
+SPOKEN_PHONE = re.compile(rf"\b(?:{_DIGIT}[\s,\-]+){{6,}}{_DIGIT}\b", _I)
+#: What a number of another kind is called.
+OTHER_NUMBER = re.compile(r"(?:part number|order|ticket|serial|tracking|docket|crate|model|version|reference)(?:\s+number)?(?:\s+(?:is|says|on))*[\s,]*$", _I)
+_STREET = r"(?:street|st|avenue|ave|road|rd|lane|ln|way|boulevard|blvd|drive|court|ct|terrace|place|square|close|crescent|quay|row)"
+_NUMBER = (
+    r"(?:\d{1,5}[a-c]?|(?:(?:twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety)(?:[\s\-](?:one|two|three|four|five|six|seven|eight|nine))?"
+    r"|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen)\b)"
+)
+ADDRESS = re.compile(rf"(?<![\w.\-:$£€]){_NUMBER}[\s,]+(?!(?:of|the|in|on|or|and|weeks?|days?|months?|boxes|pallets|us|o['’]clock)\b)[a-z'’\-]+[\s,]+(?:(?!(?:on|the|of|to|in|by|and|for)\b)[a-z'’\-]+[\s,]+)?{_STREET}\b(?:,?\s+(?:apt|unit|flat|suite)\s+\d+)?", _I)
+#: Cut off behind the street's name.
+ADDRESS_CUT = re.compile(rf"(?:deliver\s+to|address\s+i\s+have\s+is|we['’]re\s+at)[\s,]+({_NUMBER}[\s,]+[a-z'’\-]+)[\s.,]*$", _I)
+_G, _F = rf"(?:{'|'.join(GIVEN)})", rf"(?:{'|'.join(FAMILY)})"
+NAME = re.compile(rf"(?<![\w@.\-'’])(?:{_G}\s+(?:[a-z]\.?\s+)?{_F}|{_F},\s*{_G}|{_G}|{_F})(?![\w@]|-\w)", _I)
+THING = re.compile(rf"(?:{WORDS_TOO})$", _I)
+_LABEL_CASE = r"[A-Z][a-z]+(?:['’\-][A-Z][a-z]+)?"
+#: Names that the list lacks, by what is said around them.
+CONTEXT = re.compile(
+    rf"(?:this is |[Hh]i there, |through to |spoke to |[Ii]t['’]s under |neighbour )(?:(?:Mr|Mrs|Ms|Dr|Captain)\.? )?({_LABEL_CASE}(?: [A-Z]\.)?(?: {_LABEL_CASE})?)(?= speaking\b|, how can| on the service| last week|, that['’]s the account| has the spare)"
+)
+#: Words without which a pattern needn't be tried.
+_DIGIT_WORDS = frozenset(_DIGIT[3:-1].split("|"))
+_STREET_WORDS = frozenset(_STREET[3:-1].split("|"))
+_NAME_WORDS = frozenset(w for n in GIVEN + FAMILY for w in re.findall("[a-z]{2,}", n)) | {"omarrick"}
+
+
+def talk(text: str) -> tuple[str, list[int]]:
+    """The text without stamps, sounds and fillers, and each character's place in the raw text."""
+    keep = [True] * len(text)
+    if m := LEADING_STAMP.match(text):
+        keep[: m.end()] = [False] * m.end()
+    chars, at = text, list(range(len(text)))
+    if not all(keep):
+        chars, at = chars[m.end() :], at[m.end() :]
+    for pattern in (SOUND, INNER_STAMP, HESITATION, _SET):
+        if not pattern.search(chars):
+            continue
+        out, places, last = [], [], 0
+        for m in pattern.finditer(chars):
+            out += [chars[last : m.start()], " "]
+            places += [*at[last : m.start()], at[m.start()]]
+            last = m.end()
+        chars, at = "".join(out) + chars[last:], places + at[last:]
+    # one blank for several, for patterns that allow but one
+    if not _BLANKS.search(chars):
+        return chars, at
+    kept = [i for i, c in enumerate(chars) if not (c.isspace() and i and chars[i - 1].isspace())]
+    return "".join(chars[i] for i in kept), [at[i] for i in kept]
+
+
+def items(text: str | None) -> list[tuple[str, int, int]]:
+    """(kind, start, end) in the raw text, in order."""
+    if not text:
+        return []
+    said, at = talk(text)
+    found: list[tuple[str, int, int]] = []
+
+    def take(kind: str, start: int, end: int) -> None:
+        while start < end and not said[start].isalnum():
+            start += 1
+        if start < end and all(end <= s or start >= e for _, s, e in found):
+            found.append((kind, start, end))
+
+    low = said.lower()
+    words = re.findall("[a-z]+", low)
+    has, digits = set(words), bool(_NUMERAL.search(said))
+    if "@" in said or "at" in has:
+        for m in EMAIL.finditer(said):
+            take("email", *m.span())
+    if digits:
+        for m in ID_NUMBER.finditer(said):
+            if not OTHER_NUMBER.search(said[: m.start()]):
+                take("id_number", *m.span())
+    if not has.isdisjoint(_STREET_WORDS):
+        for m in ADDRESS.finditer(said):
+            take("address", *m.span())
+    if "deliver" in has or "address" in has or "at" in has:
+        for m in ADDRESS_CUT.finditer(said):
+            take("address", *m.span(1))
+    if digits:
+        for m in PHONE.finditer(said):
+            if not OTHER_NUMBER.search(said[: m.start()]):
+                take("phone", *m.span())
+    if not has.isdisjoint(_DIGIT_WORDS) and sum(w in _DIGIT_WORDS for w in words) > 6:
+        for m in SPOKEN_PHONE.finditer(said):
+            take("phone", *m.span())
+    for m in NAME.finditer(said) if not has.isdisjoint(_NAME_WORDS) else ():
+        if THING.match(m[0]) and (re.search(r"\b(?:the|a)[\s,]*$", said[: m.start()], _I) or re.match(r"[\s,]*(?:pattern|wood|finish|frames?|trim)\b", said[m.end() :], _I)):
+            continue
+        take("name", *m.span())
+    for m in CONTEXT.finditer(said):
+        take("name", *m.span(1))
+    return sorted(((k, at[s], at[e - 1] + 1) for k, s, e in found), key=lambda x: x[1])
+
+
+def redacted(text: str) -> str:
+    for kind, start, end in reversed(items(text)):
+        text = f"{text[:start]}[{kind.upper()}]{text[end:]}"
+    return text
+
+
+def _batches(batches):
+    import pyarrow as pa
+
+    for b in batches:
+        rows = [(r["call_id"], i, kind, start) for r in b.to_pylist() for i, u in enumerate(r["turns"] or []) if u for kind, start, _ in items(u["text"])]
+        call, turn, kind, start = zip(*rows) if rows else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(call, pa.string()), pa.array(turn, pa.int32()), pa.array(kind, pa.string()), pa.array(start, pa.int32())], names=["call_id", "turn_index", "kind", "start_at"])
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = table(spark, sf_dir, "transcripts").groupBy("call_id").agg(F.min_by("turns", "ingested_at").alias("turns"))
+    return calls.mapInArrow(_batches, "call_id string, turn_index int, kind string, start_at int")

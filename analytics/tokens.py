@@ -1,0 +1,46 @@
+"""Problems 7 and 8: documents sized in tokens of a public byte-level BPE; those longer than a container, and sources that can't fill their share of a mix."""
+
+import base64
+import functools
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .common import folded, table
+
+
+@functools.cache
+def encoding():
+    import public_tokenizers
+    import tiktoken
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def count_tokens(batches):
+    import pyarrow as pa
+
+    for b in batches:
+        counts = [len(encoding().encode_ordinary(t)) if t else 0 for t in b.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(counts, pa.int64())], names=["doc_id", "source", "tokens"])
+
+
+def sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, source, tokens), every document counted in full."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return docs.mapInArrow(count_tokens, "doc_id bigint, source string, tokens bigint")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = table(spark, sf_dir, "containers")
+    return sized(spark, sf_dir).join(F.broadcast(kinds), F.expr("tokens > capacity_tokens")).select("container_kind", "doc_id")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by_source = sized(spark, sf_dir).groupBy(folded("source").alias("folded")).agg(F.sum("tokens").alias("tokens"))
+    # a row per source from here on; a target without any document has no tokens
+    joined = by_source.join(table(spark, sf_dir, "mix_targets"), F.col("folded") == folded("source"), "full")
+    total = F.sum("tokens").over(Window.partitionBy())
+    return joined.withColumn("total", total).where("source is not null and max_repeats * coalesce(tokens, 0) < target_share * total").select("source")

@@ -1,0 +1,116 @@
+"""Problem 6: raw transcript records as clean speaker turns in order of time."""
+
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import table
+
+SPEAKERS = {
+    "AGENT": "agent agt agnet advisor adviser rep representative csr operator service_rep",
+    "CUSTOMER": "customer cust custmer client caller",
+    "IVR": "ivr system recording automated_voice auto-attendant",
+}
+SPEAKER_OF = {w.replace("_", " "): s for s, words in SPEAKERS.items() for w in words.split()}
+_NAMES = "|".join(sorted(SPEAKER_OF, key=len, reverse=True))
+_CLOCK = r"\d{1,2}:\d{2}(?::\d{2})?"
+#: A stamp at the start of a record, and one anywhere in it (there only in brackets: a bare time belongs to the talk).
+_BRACKETED = rf"\[{_CLOCK}\]|\({_CLOCK}\)|<\d+m\d+s>"
+LEADING_STAMP = re.compile(rf"\s*(?:{_BRACKETED}|\d{{2}}:\d{{2}}:\d{{2}} - ?)")
+INNER_STAMP = re.compile(_BRACKETED)
+LABEL = re.compile(rf"\s*(?:>>\s*)?(?:[\[<]\s*({_NAMES})(?:\s*\d+|\s*\([a-z]+\))?\s*[\]>]:?|({_NAMES})(?:\s*\d+|\s*\([a-z]+\))?\s*(?::| -(?=\s)))", re.I)
+_SOUND_WORDS = (
+    r"(?:(?:hold |background )?music|pause|silence|sighs?|sighing|unclear|coughs?|coughing|laughs?|laughter|laughing|beeps?|(?:a )?dog barking|(?:background )?noise|crosstalk|static|typing"
+    r"|inaudible(?: \d+:\d+)?|line cuts out|door slams|background voices|sneezes?|clears throat|ringing|applause|breathing|indistinct|overlapping|chuckles?|sniffs?|hold)"
+)
+SOUND = re.compile(rf"\(\(\s*{_SOUND_WORDS}\s*\)\)|[\[({{]\s*{_SOUND_WORDS}\s*[\])}}]|<\s*{_SOUND_WORDS}\s*/?>|\*\s*{_SOUND_WORDS}\s*\*|♪[^♪]{{0,40}}♪|♪", re.I)
+HESITATION = re.compile(r"(?<![\w'’.@/-])(?:u+h+m*|u+m+|e+r+m*|h+m+|m+h*m+|e+h+m+|a+h+m+)(?![\w'’@/]|-\w|\.\w)(?:\.{2,}|…)?,?", re.I)
+SET_PHRASE = re.compile(r",\s*(?:you know|i mean|sort of|kind of|you see)\s*(?=,)", re.I)
+
+
+def folded_speaker(raw: str | None) -> str:
+    return SPEAKER_OF.get(re.sub(r"\s*\([^)]*\)|\s*\d+$|[\s:.]+$", "", (raw or "").strip()).strip(" :.").lower(), "UNKNOWN")
+
+
+def stamp_seconds(text: str) -> int | None:
+    m = LEADING_STAMP.match(text)
+    if not m:
+        return None
+    seconds = 0
+    for part in re.findall(r"\d+", m[0]):
+        seconds = seconds * 60 + int(part)
+    return seconds
+
+
+def stripped(text: str) -> tuple[str, str | None]:
+    """The text without stamps, label, sounds and hesitations, and the speaker its label names."""
+    if m := LEADING_STAMP.match(text):
+        text = text[m.end() :]
+    text = SOUND.sub(" ", INNER_STAMP.sub(" ", text))
+    named = None
+    if m := LABEL.match(text):
+        named, text = SPEAKER_OF[(m[1] or m[2]).lower()], text[m.end() :]
+    return " ".join(HESITATION.sub(" ", text).split()), named
+
+
+def words(text: str) -> int:
+    return sum(any(c.isalnum() for c in w) for w in text.split())
+
+
+def in_milliseconds(times: list[int], stamped: list[tuple[int, int]], duration: int | None) -> bool:
+    """Whether a call's t are milliseconds: by its stamps, else its length, else their spacing."""
+    if stamped:
+        t, s = max(stamped)
+        return t > 60 and t > 30 * max(s, 1)
+    if not times:
+        return False
+    if duration:
+        return max(times) > 30 * duration
+    gaps = sorted(b - a for a, b in zip(sorted(times), sorted(times)[1:]) if b > a)
+    return gaps[len(gaps) // 2] > 600 if gaps else times[0] > 20_000
+
+
+def clean_turns(turns: list[dict] | None, duration: int | None) -> list[dict]:
+    records = list(dict.fromkeys((r["t"], r["speaker"], r["text"] or "") for r in turns or [] if r))
+    stamps = [stamp_seconds(x) for _, _, x in records]
+    millis = in_milliseconds([t for t, _, _ in records if t is not None], [(t, s) for (t, _, _), s in zip(records, stamps) if t is not None and s is not None], duration)
+    timed, last = [], 0
+    for (t, speaker, text), stamp in zip(records, stamps):
+        # a record without any time stays behind the one it was delivered after
+        last = (t / 1000 if millis else t) if t is not None else stamp if stamp is not None else last
+        timed.append((last, speaker, text))
+    out: list[dict] = []
+    for at, speaker, text in sorted(timed, key=lambda r: r[0]):
+        clean, named = stripped(text)
+        if not words(clean):
+            continue
+        who = named or folded_speaker(speaker)
+        if out and out[-1]["speaker"] == who:
+            out[-1]["text"] += " " + clean
+        else:
+            out.append({"speaker": who, "start_sec": int(at), "text": clean})
+    for x in out:
+        x["text"] = SET_PHRASE.sub("", x["text"])
+        x["n_words"] = words(x["text"])
+    return [x | {"turn_no": i} for i, x in enumerate(out)]
+
+
+def _batches(batches):
+    import pyarrow as pa
+
+    names = ("turn_no", "speaker", "start_sec", "text", "n_words")
+    kinds = (pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int32())
+    for b in batches:
+        rows = [(r["call_id"], x) for r in b.to_pylist() for x in clean_turns(r["turns"], r["duration_sec"])]
+        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.string()), *(pa.array([x[n] for _, x in rows], k) for n, k in zip(names, kinds))], names=["call_id", *names])
+
+
+def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(call_id, turn_no, speaker, start_sec, text, n_words), of each call as first delivered."""
+    calls = table(spark, sf_dir, "transcripts").groupBy("call_id").agg(F.min_by(F.struct("turns", "duration_sec"), "ingested_at").alias("c")).select("call_id", "c.*")
+    return calls.mapInArrow(_batches, "call_id string, turn_no int, speaker string, start_sec int, text string, n_words int")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean(spark, sf_dir).select("call_id", "turn_no", "speaker", "start_sec", "n_words")

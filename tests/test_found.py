@@ -1,0 +1,122 @@
+"""Each pN_found on small tables of known result, and against its SQL on the smallest test data."""
+
+from collections import Counter
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+from analytics import pii, turns
+
+DATA = "/root/testdata/sf0.001"
+TABLES = "transcripts gold validated_cells hypotheses spans agent_rollup documents schema_fields mix_targets containers".split()
+
+
+def found(spark, name, folder, **tables):
+    for t, (ddl, rows) in tables.items():
+        spark.createDataFrame(rows, ddl).coalesce(1).write.mode("overwrite").parquet(f"{folder}/{t}.parquet")
+    rows = [tuple(r) for r in entry.queries()[name](spark, str(folder)).collect()]
+    assert len(rows) == len(set(rows))
+    return set(rows)
+
+
+def test_all_nine_are_registered(spark):
+    assert set(entry.queries()) == {f"p{n}_found" for n in range(1, 10)}
+    assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+def test_same_as_sql(spark, name):
+    c = duckdb.connect()
+    for t in TABLES:
+        c.execute(f"create view {t} as from '{DATA}/{t}.parquet'")
+    assert Counter(tuple(r) for r in entry.queries()[name](spark, DATA).collect()) == Counter(c.execute(entry.oracle_sql()[name]).fetchall())
+
+
+def test_p1_marks(spark, tmp_path):
+    gold = [(f"c{i}", " Billing " if i < 5 else f"r{i // 3}", None if i else " ") for i in range(14)] + [("c13", "r4", None)]
+    cells = [(f"c{i}", "issue_note", "lens Lens lost" if i < 2 else f"w{i // 3} x") for i in range(14)]
+    rows = found(spark, "p1_found", tmp_path, gold=("call_id string, reason string, objection string", gold), validated_cells=("call_id string, field string, value string", cells))
+    assert rows == {("reason", "billing", "common"), ("reason", "r1", "rare"), ("reason", "r4", "rare"), ("value", "lens", "rare"), ("value", "lost", "rare"), ("value", "x", "common"), ("value", "w0", "rare"), ("value", "w4", "rare")}
+
+
+def test_p2_departing_loads(spark, tmp_path):
+    rows = [(n, "sum", "1.5" if n != 2 or i % 2 else ("1,5" if i else None), 0.8 if n != 1 else 0.5, "accepted" if n != 0 or i > 3 else "Accepted") for n in range(3) for i in range(10)]
+    rows += [(2, "sum", None, 7.0, None)] * 3
+    got = found(spark, "p2_found", tmp_path, validated_cells=("load_no int, field string, value string, confidence double, disposition string", rows), schema_fields=("field string, type string, enum_values array<string>", [("sum", "number", None)]))
+    # accepted has the shares 0.6, 1 and 10/13, so load 1 is 3/13 off the median; Accepted has 0.4, 0 and 0
+    assert got == {(0, "sum", "disposition_label"), (0, "sum", "disposition_shift"), (1, "sum", "confidence_shift"), (1, "sum", "disposition_shift"), (2, "sum", "confidence_range"), (2, "sum", "null_rate"), (2, "sum", "value_pattern")}
+
+
+def test_p3_pairs(spark, tmp_path):
+    cells = [(f"c{i}", f, v, "accepted") for i in range(30) for f, v in (("a", " X" if i < 6 else "y"), ("b", "P" if i < 6 else "q"))]
+    cells += cells[:4] + [(f"c{i}", "b", "P", "Accepted") for i in range(6, 20)]
+    fields = [("a", "enum", ["x", "y"]), ("b", "enum", ["p", "q"])]
+    assert found(spark, "p3_found", tmp_path, validated_cells=("call_id string, field string, value string, disposition string", cells), schema_fields=("field string, type string, enum_values array<string>", fields)) == {("a=x", "b=p")}
+
+
+@pytest.mark.parametrize(
+    ("text", "expected"),
+    [
+        ("so that's Strandquist, Xandor, bettan02@lists.harrow.example, and the ID 984-34-1028.", [("name", "Strandquist"), ("email", "bettan02"), ("id_number", "984")]),
+        ("[00:14] (coughs) call me on (733) 555-0144 or at work, +44 1632 960609", [("phone", "733"), ("phone", "44")]),
+        ("deliver to 585 Larkspur Ave, Eastmere 66325, round the back.", [("address", "585")]),
+        ("the address I have is uhm twelve Copperbeck Court, correct.", [("address", "twelve")]),
+        ("my email is linden underscore fennimark at quay dash office dot test", [("email", "linden")]),
+        ("best number is five five five oh one uh, oh seven.", [("phone", "five")]),
+        ("it's under Dr. O'Marrick, that's the account holder", [("name", "O'Marrick")]),
+        ("you're through to Zorin <noise> G. Fennimark on the service desk", [("name", "Zorin")]),
+        ("the linden wood trim has gone green", []),
+        ("we post that on the board as @cold_desk every Friday", []),
+        ("the part number is 711-9708, it's order 4471-882, tracking is 1Z700763065", []),
+        ("I'm at the Larkspur depot, by the Windlass cafe", []),
+    ],
+)
+def test_p4_items(text, expected):
+    assert [(k, text[s:e][: len(x)]) for (k, s, e), (_, x) in zip(pii.items(text), expected)] == expected and len(pii.items(text)) == len(expected)
+
+
+def test_p4_placeholders():
+    assert pii.redacted("call me on 555-0102, says Maro") == "call me on [PHONE], says [NAME]"
+
+
+def test_p5_against_the_true_place(spark, tmp_path):
+    spans = [(f"s{i}", "r", " Extract" if i % 2 else "extract", 10 * (i + 1)) for i in range(20)]
+    spans += spans[:9] + [("x", "r", "extract", None), ("y", "r", "extract", -5)]
+    rollup = [("r", "extract", 110.0, 200.0), ("q", "extract", 1.0, 1.0)]
+    ddl = ("run_id string, agent string, p50_ms double, p95_ms double", rollup)
+    assert found(spark, "p5_found", tmp_path, spans=("id string, run_id string, agent string, duration_ms bigint", spans), agent_rollup=ddl) == set()
+    assert found(spark, "p5_found", tmp_path, agent_rollup=(ddl[0], [("r", "extract", 130.0, 200.0)])) == {("r", "extract")}
+
+
+def test_p6_clean_turns():
+    raw = [
+        {"t": 9000, "speaker": "AGENT", "text": "Agent: past, sort of, the uh... lift"},
+        {"t": 2000, "speaker": None, "text": "<0m02s> >> Cust: the sort of rope (the grey one)"},
+        {"t": 2000, "speaker": None, "text": "<0m02s> >> Cust: the sort of rope (the grey one)"},
+        {"t": 5000, "speaker": "?", "text": "[INAUDIBLE 0:03] um,"},
+        {"t": 7000, "speaker": " Customer", "text": "hmm, at 16:45 (0:07) today"},
+        {"t": 95000, "speaker": "spk", "text": "okay"},
+    ]
+    got = [(x["turn_no"], x["speaker"], x["start_sec"], x["n_words"]) for x in turns.clean_turns(raw, 99)]
+    assert got == [(0, "CUSTOMER", 2, 10), (1, "AGENT", 9, 3), (2, "UNKNOWN", 95, 1)]
+
+
+def test_p6_one_delivery_counts(spark):
+    rows = entry.queries()["p6_found"](spark, DATA)
+    assert rows.count() == rows.select("call_id", "turn_no").distinct().count() > 0
+
+
+def test_p7_and_p8_tokens(spark, tmp_path):
+    docs = [(1, "word " * 3000, " Notes"), (2, "word " * 1000, "notes"), (3, None, None), (4, "few words", "memo")]
+    tables = {"documents": ("doc_id bigint, text string, source string", docs), "containers": ("container_kind string, capacity_tokens int", [("small", 2048), ("large", 8192)])}
+    assert found(spark, "p7_found", tmp_path, **tables) == {("small", 1)}
+    assert found(spark, "p8_found", tmp_path, mix_targets=("source string, target_share double, max_repeats int", [("notes", 0.5, 1), ("memo", 0.1, 4), ("none", 0.1, 9)])) == {("memo",), ("none",)}
+
+
+def test_p9_wrong_encodings(spark, tmp_path):
+    sound = ["Naïve phrasing — 14 days, “I’d rather” at −29 °C… £21", "SITUAÇÃO: EM ABERTO. O portão não fecha", "Größere Störung, Übergabe", "Zgłoszenie przekazał dziś, wejście", "ВОРОТА не открываются. Счёт", "¿Quién firmó? Según", "À vérifier : cœur, août", "plain"]
+    bad = [s.encode().decode(c, "replace") for s in sound[:2] for c in ("cp1252", "latin-1", "cp1250", "mac_roman", "cp437")]
+    bad += [sound[4].encode().decode("cp1251", "replace"), sound[4].encode("cp1251").decode("latin-1"), "Мастер звонил".encode("koi8-r").decode("cp1251"), "Мастер звонил".encode("cp1251").decode("koi8-r"), "the café, naïve".encode("cp1252").decode("mac_roman"), "gr��ere", "25 °C".encode("cp1252").decode("mac_roman")]
+    docs = [(i, t) for i, t in enumerate(sound)] + [(100 + i, t) for i, t in enumerate(bad)]
+    assert found(spark, "p9_found", tmp_path, documents=("doc_id bigint, text string", docs)) == {(100 + i,) for i in range(len(bad))}
