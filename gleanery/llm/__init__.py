@@ -1,8 +1,8 @@
 """Operators for language-model data; nothing else in the library imports this part."""
 
-from gleanery.llm import cooccurrence, lexicon, percentiles
+from gleanery.llm import cooccurrence, lexicon, mixing, packing, percentiles
 
-_MODULES = (lexicon, cooccurrence, percentiles)
+_MODULES = (lexicon, cooccurrence, percentiles, packing, mixing)
 
 
 def queries():
