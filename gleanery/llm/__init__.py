@@ -1,8 +1,8 @@
 """Operators for language-model data; nothing else in the library imports this part."""
 
-from gleanery.llm import cooccurrence, encoding, lexicon, mixing, packing, percentiles
+from gleanery.llm import cooccurrence, encoding, lexicon, mixing, packing, percentiles, pii, turns
 
-_MODULES = (lexicon, cooccurrence, percentiles, packing, mixing, encoding)
+_MODULES = (lexicon, cooccurrence, pii, percentiles, turns, packing, mixing, encoding)
 
 
 def queries():
