@@ -236,3 +236,7 @@ union all select p.load_no, p.field, 'confidence_shift' from p join m on m.field
 union all select load_no, field, 'disposition_label' from p where label > 0.03
 union all select distinct g.load_no, g.field, 'disposition_shift' from g join gm on gm.field = g.field and gm.disposition = g.disposition where abs(share - mid) > 0.23
 """
+
+
+QUERIES = {"p2_found": p2_found, "p2_profile": p2_profile}
+SQL = {"p2_found": P2_SQL}

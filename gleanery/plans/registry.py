@@ -4,14 +4,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.operators import load_profile
+from gleanery.operators import cells, load_profile
 
 Query = Callable[[SparkSession, str], DataFrame]
+_MODULES = (load_profile, cells)
 
 
 def queries() -> dict[str, Query]:
-    return {"p2_found": load_profile.p2_found, "p2_profile": load_profile.p2_profile}
+    return {k: q for m in _MODULES for k, q in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": load_profile.P2_SQL}
+    return {k: q for m in _MODULES for k, q in m.SQL.items()}
