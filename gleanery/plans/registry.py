@@ -4,10 +4,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.operators import cells, load_profile
+from gleanery.operators import cells, load_profile, mining
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (load_profile, cells)
+_MODULES = (load_profile, cells, mining)
 
 
 def queries() -> dict[str, Query]:
