@@ -4,10 +4,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.operators import cells, load_profile, mining
+from gleanery.operators import cells, load_profile, mining, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (load_profile, cells, mining)
+_MODULES = (load_profile, cells, mining, texts)
 
 
 def queries() -> dict[str, Query]:
