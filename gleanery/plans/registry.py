@@ -4,10 +4,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.operators import cells, load_profile, mining, texts
+from gleanery.operators import cells, evaluation, funnel, grounding, load_profile, mining, texts, trace
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (load_profile, cells, mining, texts)
+_MODULES = (load_profile, cells, mining, texts, trace, grounding, funnel, evaluation)
 
 
 def queries() -> dict[str, Query]:
