@@ -123,7 +123,7 @@ def noise_penalty(c: Column) -> Column:
 
 def window_quote(c: Column, token: Column, radius: int = 7) -> Column:
     """The words around the first place of a token; the first 160 characters where it isn't."""
-    at = F.locate(token, F.lower(c))
+    at = F.position(token, F.lower(c))
     before, rest = F.substring(c, F.lit(1), at - 1), F.substring(c, at, F.length(c))
     back = F.regexp_extract(before, rf"((?:\S* ){{0,{radius - 1}}}\S*)$", 1)
     tail = F.substring(rest, F.length(token) + 1, F.length(c))

@@ -4,10 +4,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.operators import cells, evaluation, faults, funnel, grounding, load_profile, mining, sampling, texts, trace
+from gleanery.operators import cells, detect, discovery, evaluation, faults, funnel, grounding, load_profile, mining, sampling, texts, trace
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (load_profile, cells, mining, texts, trace, grounding, funnel, evaluation, sampling, faults)
+_MODULES = (load_profile, cells, mining, texts, trace, grounding, funnel, evaluation, sampling, faults, detect, discovery)
 
 
 def queries() -> dict[str, Query]:
