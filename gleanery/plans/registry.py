@@ -4,10 +4,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.operators import cells, detect, discovery, evaluation, faults, funnel, grounding, load_profile, mining, sampling, texts, trace
+from gleanery.operators import activation, cells, detect, discovery, evaluation, faults, funnel, grounding, load_profile, mining, sampling, texts, trace
+from gleanery.streaming import rollup
+
+from . import pipeline
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (load_profile, cells, mining, texts, trace, grounding, funnel, evaluation, sampling, faults, detect, discovery)
+_MODULES = (load_profile, cells, mining, texts, trace, grounding, funnel, evaluation, sampling, faults, detect, discovery, activation, rollup, pipeline)
 
 
 def queries() -> dict[str, Query]:
