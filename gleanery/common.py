@@ -1,6 +1,8 @@
 """Shared pieces: reading tables, folding text, cutting lineage, checked broadcasts."""
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,3 +32,18 @@ def durable(df: DataFrame) -> DataFrame:
 def if_small(df: DataFrame, rows: int, most: int = 100_000) -> DataFrame:
     """df with a broadcast hint if its counted rows stay under the bound, else as it is (a shuffled join)."""
     return F.broadcast(df) if rows <= most else df
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the executors this package as a zip, once per context, so that Python workers find it wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_gleanery", False):
+        return
+    root = Path(__file__).parent
+    target = Path(tempfile.mkdtemp(prefix="gleanery"), "gleanery.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(root.rglob("*")):
+            if f.is_file() and f.suffix in (".py", ".npz"):
+                z.write(f, Path(root.name, f.relative_to(root)))
+    sc.addPyFile(str(target))
+    sc._gleanery = True
