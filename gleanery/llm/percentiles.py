@@ -115,42 +115,58 @@ def build(values: DataFrame, keys: list[str], value: str, k: int = K) -> DataFra
     return values.select(*keys, value).where(F.col(value).isNotNull()).mapInPandas(task, out)
 
 
+def by_group(df: DataFrame, keys: list[str], one, ddl: str) -> DataFrame:
+    """one(key, rows) for each group, where groups are many and small: whole Arrow batches of sorted groups go to Python, not a call per group."""
+    names = [c.strip().split(" ")[0].strip("`") for c in ddl.split(", ")]
+
+    def task(batches):
+        import pandas as pd
+
+        key, held, rows = None, [], []
+        for b in batches:
+            for k, g in b.groupby(keys, dropna=False, sort=False):
+                k = tuple(None if pd.isna(x) else x for x in k)
+                if held and k != key:
+                    rows += one(key, pd.concat(held) if len(held) > 1 else held[0])
+                    held = []
+                key = k
+                held.append(g)
+                if len(rows) >= 2_000:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+        if held:
+            rows += one(key, pd.concat(held) if len(held) > 1 else held[0])
+        yield pd.DataFrame(rows, columns=names)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(task, ddl)
+
+
+def _buffers(pdf) -> tuple[list[tuple[int, np.ndarray]], int, int]:
+    return [(int(level), np.asarray(v, float)) for level, v in zip(pdf["level"], pdf["buffer"])], int(pdf["n"].sum()), int(pdf["error"].sum())
+
+
 def merge(sketches: DataFrame, keys: list[str], k: int = K, salts: int | None = None) -> DataFrame:
     """One sketch per keys of many, first by salt, then whole. Keys may be fewer than those the sketches were built by.
 
     T tasks leave T sketches of a hot group; about sqrt(T) salts make both steps merge about sqrt(T) sketches each.
     """
     salts = salts or max(1, math.isqrt(int(sketches.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    ddl = {f.name: f.dataType.simpleString() for f in sketches.schema}
-
-    def merged(by: list[str]):
-        def one(pdf):
-            import pandas as pd
-
-            key = tuple(None if pd.isna(pdf[c].iloc[0]) else pdf[c].iloc[0] for c in by)
-            s = Sketch(k).merge([(int(level), np.asarray(v, float)) for level, v in zip(pdf["level"], pdf["buffer"])], int(pdf["n"].sum()), int(pdf["error"].sum()))
-            return pd.DataFrame(_rows(key, s), columns=[*by, "level", "buffer", "n", "error"])
-
-        return one
-
-    tail = ", level int, buffer array<double>, n bigint, error bigint"
-    of = lambda by: ", ".join(f"`{c}` {ddl.get(c, 'int')}" for c in by) + tail
+    kind = {f.name: f.dataType.simpleString() for f in sketches.schema}
+    ddl = lambda by: ", ".join(f"`{c}` {kind.get(c, 'int')}" for c in by) + ", level int, buffer array<double>, n bigint, error bigint"
+    one = lambda key, pdf: _rows(key, Sketch(k).merge(*_buffers(pdf)))
     salted = sketches.withColumn("_salt", F.pmod(F.xxhash64("buffer"), F.lit(salts)).cast("int"))
-    return salted.groupBy(*keys, "_salt").applyInPandas(merged([*keys, "_salt"]), of([*keys, "_salt"])).groupBy(*keys).applyInPandas(merged(keys), of(keys))
+    return by_group(by_group(salted, [*keys, "_salt"], one, ddl([*keys, "_salt"])), keys, one, ddl(keys))
 
 
 def estimates(sketches: DataFrame, keys: list[str], quantiles: tuple[float, ...] = QUANTILES) -> DataFrame:
     """(keys, q, n, error, estimate, low, high) of merged sketches."""
-    ddl = {f.name: f.dataType.simpleString() for f in sketches.schema}
-
-    def one(pdf):
-        import pandas as pd
+    kind = {f.name: f.dataType.simpleString() for f in sketches.schema}
 
-        key = tuple(None if pd.isna(pdf[c].iloc[0]) else pdf[c].iloc[0] for c in keys)
-        buffers, n, error = [(int(level), np.asarray(v, float)) for level, v in zip(pdf["level"], pdf["buffer"])], int(pdf["n"].sum()), int(pdf["error"].sum())
-        return pd.DataFrame([(*key, q, n, error, *bracket(buffers, n, error, q)) for q in quantiles], columns=[*keys, "q", "n", "error", "estimate", "low", "high"])
+    def one(key, pdf):
+        buffers, n, error = _buffers(pdf)
+        return [(*key, q, n, error, *bracket(buffers, n, error, q)) for q in quantiles]
 
-    return sketches.groupBy(*keys).applyInPandas(one, ", ".join(f"`{c}` {ddl[c]}" for c in keys) + ", q double, n bigint, error bigint, estimate double, low double, high double")
+    return by_group(sketches, keys, one, ", ".join(f"`{c}` {kind[c]}" for c in keys) + ", q double, n bigint, error bigint, estimate double, low double, high double")
 
 
 def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
