@@ -293,6 +293,6 @@ SQL = {
     "bh_adjust": f"{_W}{_FAMILIES} select {_K}, n, k, round(p_value, 6) p_value, rank, round(q_value, 6) q_value from kept",
     "classify_hypotheses": f"{_W}{_CHECKED} select {_K}, n, k, round(lift, 6) lift, round(q_value, 6) q_value, round(stratified_lift, 6) stratified_lift, round(exclusivity, 6) exclusivity, verdict from checked",
     "top_findings": f"{_W}{_CHECKED} select position, {_K}, k, round(lift, 6) lift, round(q_value, 6) q_value from (select *, row_number() over (order by verdict = 'finding' desc, round(q_value, 12), round(lift, 9) desc, place) position from checked) where verdict = 'finding' and position <= 8",
-    "redundant_columns": f"{_W}{_CHECKED} select a, b, round(agreement, 6) agreement, joint from red",
+    "redundant_columns": f"{_W}{_CHECKED} select a, b, round(agreement, 6) agreement, joint::bigint joint from red",
     "supporting_calls": f"{_W}{_CHECKED} select {', '.join('o.' + k for k in KEY[1:])}, a.call_id from checked o join rows a on a.field = o.cond_field and a.value = o.cond_value join rows b on b.call_id = a.call_id and b.field = o.out_field and b.value = o.out_value where o.family = 'association'",
 }
