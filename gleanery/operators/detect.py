@@ -1,17 +1,19 @@
 """Reading values out of calls: cue tables, scored categories with a runner-up, first cues, sums and dates; second readings and repairs.
 
-A cue table is data: (detector, value, text) lines, here the quotes that accepted cells give as evidence. Scoring is one join of turn
-tokens with the cues on the token and two aggregates; a token of every category weighs next to nothing. The cue table has a row
-per category and token of the schema's enumerated values; Spark broadcasts it while it is small.
+A cue table is data: (detector, value, text) lines, here the quotes that accepted cells give as evidence. Whole calls are scored in
+place (categories.py), one row per call, so the texts are shuffled once, to find a call's first delivery; category_scores and
+best_two say the same as a join of turn tokens with the cues and two aggregates. A token of every category weighs next to nothing.
+The cue table has a row per category and token of the schema's enumerated values.
 """
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.common import durable, table
+from gleanery.common import durable, folded, table
 from gleanery.functions import scalars as S
 
 from . import cells as C
+from .categories import with_categories, words
 from .texts import TURNS_CTE, _STOP, _TOKENS, _turns
 
 #: Cues of the yes-or-no columns, in the order in which they are tried; our own.
@@ -33,13 +35,17 @@ PHRASE_SCHEMA = "detector string, cue_ord int, cue string"
 def cue_lines(spark, sf_dir) -> DataFrame:
     """(detector, value, text): what accepted cells of enumerated fields quote."""
     kinds = table(spark, sf_dir, "schema_fields").where("type = 'enum'").select("field", F.explode("enum_values").alias("value"))
-    c = C.cells(spark, sf_dir).where("disposition = 'accepted'").join(kinds, ["field", "value"], "left_semi")
-    return c.select(F.col("field").alias("detector"), "value", F.explode("evidence").alias("e")).select("detector", "value", F.col("e.quote").alias("text"))
+    v = table(spark, sf_dir, "validated_cells").where("call_id is not null and field is not null")
+    # the first load decides, so all of them meet, but only what an accepted one quotes travels
+    quotes = F.when(F.regexp_replace(folded("disposition"), "-", "_") == "accepted", F.transform("evidence", lambda e: e["quote"]))
+    v = v.join(F.broadcast(kinds.select("field").distinct()), "field", "left_semi").select("call_id", "field", "load_no", "loaded_at", "value", quotes.alias("quotes"))
+    c = v.groupBy("call_id", "field").agg(F.min_by(F.struct("value", "quotes"), F.struct("load_no", "loaded_at")).alias("c")).select("field", "c.*").where("quotes is not null")
+    return c.join(kinds, ["field", "value"], "left_semi").select(F.col("field").alias("detector"), "value", F.explode("quotes").alias("text"))
 
 
 def cue_table(lines: DataFrame) -> DataFrame:
     """(detector, value, token, weight, total): ln((n + 1) / (df + 0.5)) over a detector's n categories of which df have the token."""
-    t = lines.select("detector", "value", F.explode(S.tokens(F.col("text"))).alias("token")).distinct()
+    t = durable(lines.select("detector", "value", F.explode(S.tokens(F.col("text"))).alias("token")).distinct())
     n = t.groupBy("detector").agg(F.countDistinct("value").alias("n"))
     df = t.groupBy("detector", "token").agg(F.count(F.lit(1)).alias("df"))
     w = t.join(df, ["detector", "token"]).join(n, "detector").withColumn("weight", F.log((F.col("n") + 1) / (F.col("df") + 0.5)))
@@ -82,33 +88,55 @@ def _phrases(spark) -> DataFrame:
     return spark.createDataFrame(PHRASES, PHRASE_SCHEMA)
 
 
-def extracted(spark, sf_dir) -> DataFrame:
-    """(call_id, field, value, confidence, evidence, strength, margin): one cell per call and detector, null where nothing was found."""
-    turns = durable(call_turns(spark, sf_dir))
-    calls_ = C.calls(spark, sf_dir)
-    cat = best_two(category_scores(turns, cue_table(cue_lines(spark, sf_dir))))
-    cat = cat.join(turns.select("key", "turn_index", "text"), ["key", "turn_index"]).select("key", "detector", "value", "turn_index", F.col("text").alias("quote"), S.saturated(F.col("hit")).alias("mass"), "margin")
-    yes = first_cues(turns, _phrases(spark)).join(turns.select("key", "turn_index", "text"), ["key", "turn_index"])
-    yes = yes.select("key", "detector", F.lit("true").alias("value"), "turn_index", S.window_quote(F.col("text"), F.col("cue")).alias("quote"), F.lit(0.9).alias("mass"), F.lit(0.6).alias("margin"))
-    names = table(spark, sf_dir, "schema_fields").where("field = 'competitor'").select(F.posexplode("enum_values").alias("cue_ord", "name")).select(F.lit("competitor").alias("detector"), "cue_ord", F.lower("name").alias("cue"), "name")
-    rival = first_cues(turns, names.drop("name")).join(F.broadcast(names.select("cue", F.col("name").alias("value"))), "cue").join(turns.select("key", "turn_index", "text"), ["key", "turn_index"])
-    rival = rival.select("key", "detector", "value", "turn_index", S.window_quote(F.col("text"), F.col("cue")).alias("quote"), F.lit(0.9).alias("mass"), F.lit(0.6).alias("margin"))
-    first = lambda x, detector: x.groupBy("key").agg(F.min(F.struct("turn_index", "value", "text", "mass", "margin")).alias("m")).select("key", F.lit(detector).alias("detector"), "m.value", "m.turn_index", F.col("m.text").alias("quote"), "m.mass", "m.margin")
-    sums = first(turns.withColumn("value", S.money(F.col("text")).cast("string")).where("value is not null").withColumn("mass", F.lit(0.88)).withColumn("margin", F.lit(0.5)), "dollar_amount")
-    dates = turns.withColumn("d", S.spoken_date(F.col("text"), F.col("captured_at"))).where("d is not null")
-    dates = first(dates.withColumn("value", F.col("d.date").cast("string")).withColumn("mass", F.col("d.confidence")).withColumn("margin", F.col("d.confidence") - 0.4), "commitment_date")
-    found = cat.where("detector <> 'competitor'").unionByName(yes).unionByName(rival).unionByName(sums).unionByName(dates)
-    found = found.withColumn("strength", F.greatest(F.lit(0.0), F.col("mass") - S.noise_penalty(F.col("quote"))))
-    detectors = spark.createDataFrame([(d,) for d in sorted({p[0] for p in PHRASES} | {"competitor", "dollar_amount", "commitment_date"})], "detector string")
-    kinds = table(spark, sf_dir, "schema_fields").where("type = 'enum' and field <> 'competitor'").select(F.col("field").alias("detector"))
-    # one row per call and detector: a call meets the few detectors, not other calls
-    grid = calls_.select(F.col("call_id").alias("key"), F.coalesce("asr_confidence", F.lit(0.7)).alias("asr")).join(F.broadcast(detectors.unionByName(kinds).distinct()))
-    x = grid.join(found, ["key", "detector"], "left")
-    boolean = F.col("detector").isin(sorted({p[0] for p in PHRASES}))
-    confidence = F.when(F.col("value").isNotNull(), S.shaped_confidence(F.col("strength"), F.col("margin"), F.col("asr"))).when(boolean, S.shaped_confidence(F.lit(0.62), F.lit(0.2), F.col("asr"))).otherwise(S.absence_confidence(F.col("asr")))
+def call_texts(spark, sf_dir, only: DataFrame | None = None) -> DataFrame:
+    """(call_id, pos, stratum, captured_at, asr_confidence, texts): a row per call as first delivered, with the texts of its turns in order; of the calls in only, if given (few)."""
+    t = table(spark, sf_dir, "transcripts").where("call_id is not null")
+    t = t if only is None else t.join(F.broadcast(only.select("call_id")), "call_id", "left_semi")
+    t = t.withColumn("texts", F.transform("turns", lambda x: x["text"]))
+    return t.groupBy("call_id").agg(F.min_by(F.struct("pos", "stratum", "captured_at", "asr_confidence", "texts"), F.struct("ingested_at", "pos")).alias("c")).select("call_id", "c.*")
+
+
+def first_cue(low: Column, cues: Column) -> Column:
+    """Of listed cues (cue_ord, cue, value) the first that occurs in the texts, with its first turn: (cue_ord, turn_index, cue, value), or null."""
+    at = lambda c: F.array_position(F.transform(low, lambda t: F.contains(t, c["cue"])), F.lit(True)).cast("int") - 1
+    hits = F.transform(cues, lambda c: F.struct(c["cue_ord"].alias("cue_ord"), at(c).alias("turn_index"), c["cue"].alias("cue"), c["value"].alias("value")))
+    return F.array_min(F.filter(hits, lambda h: h["turn_index"] >= 0))
+
+
+def read_calls(calls_: DataFrame, cues: DataFrame, fields: DataFrame) -> DataFrame:
+    """calls_ (as of call_texts) with field, value, confidence, evidence, strength, margin: one row per call and detector, null where nothing was found."""
+    names = fields.where("field = 'competitor'").select(F.posexplode("enum_values").alias("cue_ord", "value"))
+    names = names.agg(F.collect_list(F.struct("cue_ord", F.lower("value").alias("cue"), "value")).alias("names"))
+    own = sorted({p[0] for p in PHRASES} | {"competitor", "dollar_amount", "commitment_date"})
+    kinds = fields.where("type = 'enum' and field <> 'competitor'").agg(F.collect_set("field").alias("kinds")).select(F.array_union(F.array(*map(F.lit, own)), "kinds").alias("detectors"))
+    # settings: one row of a few names
+    x = with_categories(calls_.withColumn("words", words(F.col("texts"))), cues).join(F.broadcast(names)).join(F.broadcast(kinds)).withColumn("low", F.transform("texts", F.lower))
+    said = lambda i: F.get("texts", i)
+    cell = lambda detector, value, turn, quote, mass, margin: F.struct(F.lit(detector).alias("detector") if isinstance(detector, str) else detector.alias("detector"), value.alias("value"), turn.cast("int").alias("turn_index"), quote.alias("quote"), mass.alias("mass"), margin.alias("margin"))
+    cats = F.transform(F.filter("cats", lambda c: c["detector"] != "competitor"), lambda c: cell(c["detector"], c["value"], c["turn_index"], said(c["turn_index"]), S.saturated(c["hit"]), c["margin"]))
+    cued = [(d, first_cue(F.col("low"), F.array(*(F.struct(F.lit(o).alias("cue_ord"), F.lit(c).alias("cue"), F.lit("true").alias("value")) for p, o, c in PHRASES if p == d)))) for d in sorted({p[0] for p in PHRASES})]
+    cued = [*cued, ("competitor", first_cue(F.col("low"), F.col("names")))]
+    x = x.select("*", *(c.alias(f"_{d}") for d, c in cued))
+    cued = [F.when(F.col(f"_{d}").isNotNull(), cell(d, F.col(f"_{d}.value"), F.col(f"_{d}.turn_index"), S.window_quote(said(F.col(f"_{d}.turn_index")), F.col(f"_{d}.cue")), F.lit(0.9), F.lit(0.6))) for d, _ in cued]
+    first = lambda what: F.get(F.filter(F.transform("texts", lambda t, i: F.struct(i.alias("i"), what(t).alias("v"))), lambda h: h["v"].isNotNull()), 0)
+    x = x.withColumn("_sum", first(S.money)).withColumn("_date", first(lambda t: S.spoken_date(t, F.col("captured_at"))))
+    sums = F.when(F.col("_sum").isNotNull(), cell("dollar_amount", F.col("_sum.v").cast("string"), F.col("_sum.i"), said(F.col("_sum.i")), F.lit(0.88), F.lit(0.5)))
+    dates = F.when(F.col("_date").isNotNull(), cell("commitment_date", F.col("_date.v.date").cast("string"), F.col("_date.i"), said(F.col("_date.i")), F.col("_date.v.confidence"), F.col("_date.v.confidence") - 0.4))
+    x = x.withColumn("found", F.concat(cats, F.filter(F.array(*cued, sums, dates), lambda f: f.isNotNull())))
+    each = F.explode(F.transform("detectors", lambda d: F.struct(d.alias("field"), F.get(F.filter("found", lambda f: f["detector"] == d), 0).alias("f")))).alias("e")
+    x = x.select(*calls_.columns, each).select(*calls_.columns, "e.field", "e.f.value", "e.f.turn_index", "e.f.quote", "e.f.mass", "e.f.margin")
+    x = x.withColumn("strength", F.when(F.col("value").isNotNull(), F.greatest(F.lit(0.0), F.col("mass") - S.noise_penalty(F.col("quote")))))
+    asr, boolean = F.coalesce("asr_confidence", F.lit(0.7)), F.col("field").isin(sorted({p[0] for p in PHRASES}))
+    confidence = F.when(F.col("value").isNotNull(), S.shaped_confidence(F.col("strength"), F.col("margin"), asr)).when(boolean, S.shaped_confidence(F.lit(0.62), F.lit(0.2), asr)).otherwise(S.absence_confidence(asr))
     none = F.array().cast("array<struct<quote:string,turn_index:int>>")
-    evidence = F.when(F.col("value").isNotNull(), F.array(F.struct("quote", F.col("turn_index").cast("int").alias("turn_index")))).otherwise(none)
-    return x.select(F.col("key").alias("call_id"), F.col("detector").alias("field"), F.coalesce("value", F.when(boolean, "false")).alias("value"), confidence.alias("confidence"), evidence.alias("evidence"), "strength", "margin")
+    evidence = F.when(F.col("value").isNotNull(), F.array(F.struct("quote", "turn_index"))).otherwise(none)
+    return x.select(*calls_.columns, "field", F.coalesce("value", F.when(boolean, "false")).alias("value"), confidence.alias("confidence"), evidence.alias("evidence"), "strength", "margin")
+
+
+def extracted(spark, sf_dir, only: DataFrame | None = None) -> DataFrame:
+    """(call_id, field, value, confidence, evidence, strength, margin): one cell per call and detector, null where nothing was found."""
+    x = read_calls(call_texts(spark, sf_dir, only), cue_table(cue_lines(spark, sf_dir)), table(spark, sf_dir, "schema_fields"))
+    return x.select("call_id", "field", "value", "confidence", "evidence", "strength", "margin")
 
 
 def second_readings(cells_: DataFrame, context: DataFrame, cues: DataFrame) -> DataFrame:
@@ -142,8 +170,9 @@ def q_cue_table(spark, sf_dir):
 
 
 def q_category_top2(spark, sf_dir):
-    b = best_two(category_scores(call_turns(spark, sf_dir), cue_table(cue_lines(spark, sf_dir))))
-    return b.select(F.col("key").alias("call_id"), "detector", "value", "turn_index", F.round("score", 5).alias("score"), "runner_up")
+    calls_ = call_texts(spark, sf_dir).select("call_id", words(F.col("texts")).alias("words"))
+    b = with_categories(calls_, cue_table(cue_lines(spark, sf_dir))).select("call_id", F.explode("cats").alias("b"))
+    return b.select("call_id", "b.detector", "b.value", "b.turn_index", F.round("b.score", 5).alias("score"), "b.runner_up")
 
 
 def q_boolean_first_cue(spark, sf_dir):
