@@ -43,3 +43,7 @@ def test_no_cues_and_no_calls(spark):
 
 def test_categories_shuffle_the_texts_once(spark):
     assert shuffles(entry.queries()["category_top2"](spark, DATA)) == 1
+
+
+def test_cells_shuffle_the_texts_once(spark):
+    assert shuffles(entry.queries()["extract_cells"](spark, DATA)) == 1
