@@ -12,7 +12,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.common import table
+from gleanery.common import durable, table
 from gleanery.functions import scalars as S
 
 from . import cells as C
@@ -104,7 +104,9 @@ def discovered(spark, sf_dir) -> DataFrame:
 
 def q_proposals(spark, sf_dir):
     aliases = table(spark, sf_dir, "schema_fields").select("field", "description", "type", F.coalesce("merged_from", F.array("field")).alias("names"))
-    return proposals(extracted(spark, sf_dir), sliced(stratified(C.calls(spark, sf_dir)), SLICES), aliases)
+    # the sample is drawn from all calls, once; its calls alone are read, with the cues of all cells
+    sample = durable(sliced(stratified(C.calls(spark, sf_dir)), SLICES))
+    return proposals(extracted(spark, sf_dir, sample), sample, aliases)
 
 
 def q_overlap_similarity(spark, sf_dir):

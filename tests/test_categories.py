@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from gleanery.operators import categories, detect
+from gleanery.operators import categories, detect, discovery
 
 DATA = "/root/testdata/sf0.001"
 
@@ -47,3 +47,12 @@ def test_categories_shuffle_the_texts_once(spark):
 
 def test_cells_shuffle_the_texts_once(spark):
     assert shuffles(entry.queries()["extract_cells"](spark, DATA)) == 1
+
+
+def test_a_few_calls_are_read_as_among_all(spark):
+    every = detect.extracted(spark, DATA)
+    few = every.select("call_id").distinct().orderBy(F.xxhash64("call_id")).limit(9)
+    want = every.join(few, "call_id", "left_semi").collect()
+    assert len(want) > 100 and sorted(map(str, detect.extracted(spark, DATA, few).collect())) == sorted(map(str, want))
+    drawn = discovery.q_proposals(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert drawn.count("Join LeftSemi") == 1
