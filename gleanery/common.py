@@ -1,6 +1,7 @@
 """Shared pieces: reading tables, folding text, cutting lineage, checked broadcasts."""
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -29,6 +30,18 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Like durable, for rows by the million: compressed columns in the same folder, deleted when the session's JVM ends."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gleanery"))
+    to = f"{sc.getCheckpointDir()}/stored-{uuid.uuid4()}"
+    path = sc._jvm.org.apache.hadoop.fs.Path(to)
+    df.write.parquet(to)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return df.sparkSession.read.schema(df.schema).parquet(to)
+
+
 def if_small(df: DataFrame, rows: int, most: int = 100_000) -> DataFrame:
     """df with a broadcast hint if its counted rows stay under the bound, else as it is (a shuffled join)."""
     return F.broadcast(df) if rows <= most else df

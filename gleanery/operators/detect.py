@@ -146,15 +146,21 @@ def second_readings(cells_: DataFrame, context: DataFrame, cues: DataFrame) -> D
     context is (call_id, field, text), the cited turn and its neighbours.
     """
     spans = cells_.where("value is not null and value <> 'false' and size(evidence) > 0").select("call_id", "field", "value", F.col("evidence")[0]["quote"].alias("quote"))
-    key = F.concat_ws("\u0001", "call_id", "field")
-    probe = best_two(category_scores(spans.select(key.alias("key"), F.lit(0).alias("turn_index"), F.lit(1).alias("turns"), F.col("quote").alias("text")), cues))
-    probe = probe.select(F.split("key", "\u0001")[0].alias("call_id"), F.split("key", "\u0001")[1].alias("field"), "detector", F.col("value").alias("read")).where("field = detector").drop("detector")
-    x = spans.join(context, ["call_id", "field"], "left").join(probe, ["call_id", "field"], "left").withColumn("r", S.retraction(F.coalesce("text", "quote")))
+    return reread(spans.join(context, ["call_id", "field"], "left"), cues).select("call_id", "field", "verdict", "corrected")
+
+
+def reread(x: DataFrame, cues: DataFrame) -> DataFrame:
+    """x (field, value, quote, text and more) with verdict and corrected, row by row; for rows with a value and a quote."""
     known = F.broadcast(cues.select(F.col("detector").alias("field"), F.lit(True).alias("categorical")).distinct())
-    x = x.join(known, "field", "left")
+    kept = x.columns
+    x = with_categories(x.withColumn("words", words(F.array("quote"))), cues).join(known, "field", "left")
+    read = F.get(F.filter("cats", lambda c: c["detector"] == F.col("field")), 0)["value"]
+    x = x.withColumn("read", read).withColumn("r", S.retraction(F.coalesce("text", "quote")))
     retracted = F.coalesce(F.abs(S.number_in(F.col("value")) - F.col("r.retracted")) < 0.005, F.lit(False))
     other = F.coalesce("categorical", F.lit(False)) & (F.col("read").isNull() | (F.col("read") != F.col("value")))
-    return x.select("call_id", "field", F.when(retracted | other, "reject").otherwise("accept").alias("verdict"), F.when(retracted, F.col("r.corrected").cast("string")).when(other, F.col("read")).otherwise(F.col("value")).alias("corrected"))
+    verdict = F.when(retracted | other, "reject").otherwise("accept")
+    corrected = F.when(retracted, F.col("r.corrected").cast("string")).when(other, F.col("read")).otherwise(F.col("value"))
+    return x.select(*kept, verdict.alias("verdict"), corrected.alias("corrected"))
 
 
 def repaired(cells_: DataFrame, readings: DataFrame) -> DataFrame:

@@ -33,10 +33,10 @@ def eligible(g: DataFrame, calls_: DataFrame) -> DataFrame:
     return x.withColumn("stage", stage)
 
 
-def budgets(x: DataFrame, readings: DataFrame) -> DataFrame:
-    """Per column: calibration reads and rejects, the smoothed rate and the coverage it buys."""
+def budgets(x: DataFrame, readings: DataFrame | None) -> DataFrame:
+    """Per column: calibration reads and rejects, the smoothed rate and the coverage it buys. Without readings x has their columns."""
     open_ = F.col("stage") == "open"
-    b = x.join(readings, ["call_id", "field"], "left").groupBy("field").agg(
+    b = (x if readings is None else x.join(readings, ["call_id", "field"], "left")).groupBy("field").agg(
         F.count_if(F.col("calibration") & open_).alias("calibration_calls"),
         F.count_if(F.col("calibration") & open_ & F.col("rejects")).alias("calibration_rejects"),
         F.count_if(F.col("stage").isin("open", "force")).alias("eligible"),
@@ -48,9 +48,10 @@ def budgets(x: DataFrame, readings: DataFrame) -> DataFrame:
     return b.withColumn("rejection_rate", rate).withColumn("smoothed_rate", smoothed).withColumn("coverage", F.coalesce(S.clamped(smoothed * MULTIPLIER, MIN_COVERAGE, 1.0), F.lit(1.0)))
 
 
-def routed(x: DataFrame, budget: DataFrame, readings: DataFrame) -> DataFrame:
-    """Every cell with its route, who decided, its disposition and its number of attempts."""
-    x = x.join(budget.select("field", "coverage"), "field").join(readings, ["call_id", "field"], "left")
+def routed(x: DataFrame, budget: DataFrame, readings: DataFrame | None) -> DataFrame:
+    """Every cell with its route, who decided, its disposition and its number of attempts. Without readings x has their columns."""
+    x = x.join(F.broadcast(budget.select("field", "coverage")), "field")
+    x = x if readings is None else x.join(readings, ["call_id", "field"], "left")
     d = S.draw(F.concat_ws(":", F.lit("critic-sample"), "call_id", "field"))
     route = F.when(F.col("stage") != "open", F.col("stage")).when(F.col("calibration") | (d < F.col("coverage")), "sample").otherwise("unsampled")
     x = x.withColumn("route", route)

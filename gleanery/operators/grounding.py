@@ -26,16 +26,22 @@ def located(e, texts, words):
     needle = S.normalized(F.coalesce(e["quote"], F.lit("")))
     here = (needle != "") & F.coalesce(F.contains(F.get(texts, e["turn_index"]), needle), F.lit(False))
     some = (needle != "") & F.exists(texts, lambda t: F.contains(t, needle))
-    order = some | ((needle != "") & F.exists(words, lambda h: S.is_subsequence(F.split(needle, " "), h)))
+    ordered = F.exists(texts, lambda t: S.is_subsequence(F.split(needle, " "), F.split(t, " "))) if words is None else F.exists(words, lambda h: S.is_subsequence(F.split(needle, " "), h))
+    order = some | ((needle != "") & ordered)
     return F.struct(here.alias("here"), some.alias("some"), order.alias("in_order"))
 
 
 def grounded(cells_: DataFrame, calls_: DataFrame, fields: DataFrame) -> DataFrame:
     """The cells with their checks, what is fatal, what is suspicious and whether they claim an absence."""
+    return checked(cells_.join(calls_, "call_id", "left"), fields)
+
+
+def checked(cells_: DataFrame, fields: DataFrame, split: bool = True) -> DataFrame:
+    """The same of cells that carry their call's normalised texts and, where split, turn_words."""
     vocab = fields.select("field", F.col("type").alias("_type"), F.col("enum_values").alias("_enum"))
-    x = cells_.join(calls_, "call_id", "left").join(vocab, "field", "left")
+    x = cells_.join(vocab, "field", "left")
     none = F.array().cast("array<string>")
-    spans = F.transform(F.coalesce("evidence", F.array().cast("array<struct<quote:string,turn_index:int>>")), lambda e: located(e, F.coalesce("texts", none), F.coalesce("turn_words", F.array().cast("array<array<string>>"))))
+    spans = F.transform(F.coalesce("evidence", F.array().cast("array<struct<quote:string,turn_index:int>>")), lambda e: located(e, F.coalesce("texts", none), F.coalesce("turn_words", F.array().cast("array<array<string>>")) if split else None))
     x = x.withColumn("spans", spans).drop("texts", "turn_words")
     any_span = F.size("spans") > 0
     x = x.withColumn("absence_claim", F.col("value").isNull() | ((F.col("_type") == "boolean") & (F.col("value") == "false")))

@@ -11,7 +11,7 @@ Order within ties: hypotheses of one p-value are ranked by family, condition and
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.common import durable
+from gleanery.common import durable, stored
 from gleanery.functions.statistics import binomial_tail
 
 from . import cells as C
@@ -138,7 +138,7 @@ def redundant_columns(pairs: DataFrame) -> DataFrame:
 
 def findings(rows: DataFrame, calls_: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The adjusted, checked and ranked hypotheses, and the table of tests per family."""
-    rows = durable(rows)
+    rows = stored(rows)
     pairs, dom = durable(pair_counts(rows)), durable(domain(rows))
     families = (associations(pairs, dom), concentrations(rows, dom), trends(rows, dom, halves(calls_)))
     hyps = families[0][0].unionByName(families[1][0]).unionByName(families[2][0])
