@@ -59,9 +59,9 @@ def test_a_few_calls_are_read_as_among_all(spark):
 
 
 def test_stored_rows_are_the_rows_and_cells_carry_their_reading(spark):
-    from gleanery.common import stored
+    from gleanery.common import durable, stored
 
     x = stored(spark.createDataFrame([("c", "why", "bill", "gate barrier", None), ("e", "why", "gate", "gate barrier", None)], "call_id string, field string, value string, quote string, text string"))
-    cues = detect.cue_table(spark.createDataFrame([("why", "gate", "gate barrier"), ("why", "bill", "invoice charged")], "detector string, value string, text string"))
+    cues = durable(detect.cue_table(spark.createDataFrame([("why", "gate", "gate barrier"), ("why", "bill", "invoice charged")], "detector string, value string, text string")))
     y = detect.reread(x, cues)
     assert shuffles(y.select("call_id", "verdict")) <= 1 and {(r.call_id, r.verdict, r.corrected) for r in y.collect()} == {("c", "reject", "gate"), ("e", "accept", "gate")}
