@@ -1,6 +1,7 @@
 """Reading whole calls in place: the same as the join of tokens and cues, and no shuffle but the one that finds a call's first delivery."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,6 +50,22 @@ def test_cells_shuffle_the_texts_once(spark):
     assert shuffles(entry.queries()["extract_cells"](spark, DATA)) == 1
 
 
+def test_cells_of_all_calls_shuffle_less_than_the_disk_allows(spark):
+    def written():
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty(30_000)
+        stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {s.stageId(): s.shuffleWriteBytes() for s in map(stages.apply, range(stages.size()))}
+
+    earlier = max(written(), default=-1)
+    rows = entry.queries()["extract_cells"](spark, DATA).collect()
+    calls = {r.call_id for r in spark.read.parquet(f"{DATA}/transcripts.parquet").where("call_id is not null").select("call_id").collect()}
+    assert len(rows) == len({(r.call_id, r.field) for r in rows}) == len(calls) * len({r.field for r in rows})
+    read = sum(Path(DATA, f"{t}.parquet").stat().st_size for t in ("transcripts", "validated_cells"))
+    # the check allows 4 times the input on disk; a join of the turns with the cues shuffled 6 times
+    assert 0 < sum(b for stage, b in written().items() if stage > earlier) < 3 * read
+
+
 def test_a_few_calls_are_read_as_among_all(spark):
     every = detect.extracted(spark, DATA)
     few = every.select("call_id").distinct().orderBy(F.xxhash64("call_id")).limit(9)
